@@ -19,14 +19,15 @@ rows are labelled alike; without any labelled row everything with a letter is
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from weirflow.llm.words import Features, Words
 SAMPLE = 400
 #: Languages at most, the most frequent first.
 LANGUAGES = 64
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 #: What a change of language costs, in nats.
 PENALTY = 6.0
 #: A script's languages are those with at least this share of it in learning.
@@ -66,27 +67,62 @@ SCRIPTS = (
 )
 SCRIPT_NAMES = (*dict.fromkeys(s for s, _, _ in SCRIPTS), "other")
 
-_LETTERS = regex.compile(r"\p{L}+").findall
-
-
-@lru_cache(maxsize=4096)
-def script(letter: str) -> int:
-    c = ord(letter)
-    for name, a, b in SCRIPTS:
-        if a <= c <= b:
-            return SCRIPT_NAMES.index(name)
-    return len(SCRIPT_NAMES) - 1
-
-
-@lru_cache(maxsize=200_000)
-def _bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BUCKETS
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of a word's letter n-grams, n from 1 to 3, and of the word."""
-    w = f"^{word}$"
-    return [_bucket(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1] + [_bucket("=" + w)]
+_EVERY = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
+_PRIME = np.uint32(0x01000193)
+
+
+@lru_cache(maxsize=1)
+def alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: whether it is a letter, and its script."""
+    letter = np.zeros(sys.maxunicode + 1, bool)
+    for m in regex.compile(r"\p{L}+").finditer(_EVERY):
+        a, b = ord(m[0][0]), ord(m[0][-1])  # no run crosses the surrogates
+        letter[a : b + 1] = True
+    kind = np.full(sys.maxunicode + 1, len(SCRIPT_NAMES) - 1, np.int8)
+    for name, a, b in reversed(SCRIPTS):
+        kind[a : b + 1] = SCRIPT_NAMES.index(name)
+    return letter, kind
+
+
+class Grams:
+    """Letters of words and hashed n-grams of them, n from 1 to 3, and of the whole word."""
+
+    def __init__(self, words: Sequence[str]):
+        letter, kind = alphabet()
+        flat = np.frombuffer("".join([w.lower() + " " for w in words]).encode("utf-32-le"), np.uint32)
+        owner = np.cumsum(flat == 32) - (flat == 32)  # a word holds no space
+        keep = letter[flat]
+        flat, owner = flat[keep], owner[keep]
+        self.letters = np.bincount(owner, minlength=len(words))
+        self.rows = np.flatnonzero(self.letters)  # words with a letter
+        size = self.letters[self.rows]
+        starts = np.cumsum(size) - size
+        self.script = kind[flat[starts]] if len(size) else np.empty(0, np.int8)
+        # each word with a mark before and after it
+        place = np.arange(len(flat)) + 2 * np.repeat(np.arange(len(size)), size) + 1
+        marked = np.zeros(len(flat) + 2 * len(size), np.uint32)
+        marked[place] = flat
+        word = np.repeat(np.arange(len(size)), size + 2)
+        with np.errstate(over="ignore"):
+            c = (marked + np.uint32(1)) * np.uint32(2654435761)
+            two = (c[:-1] * _PRIME) ^ (c[1:] + np.uint32(77))
+            three = (two[:-1] * _PRIME) ^ (c[2:] + np.uint32(191))
+            far = np.arange(len(marked)) - np.repeat(np.cumsum(size + 2) - size - 2, size + 2)
+            whole = np.add.reduceat(c * (np.uint32(2) * far.astype(np.uint32) + np.uint32(3)) ** 2, starts + 2 * np.arange(len(size))) if len(size) else c
+            groups = [(c[place], word[place]), (two[word[:-1] == word[1:]], word[:-1][word[:-1] == word[1:]]), (three[word[:-2] == word[2:]], word[:-2][word[:-2] == word[2:]]), (whole, np.arange(len(size)))]
+            #: (bucket, place in ``rows``) of n-grams of each kind, words in order
+            self.groups = [(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * k) >> np.uint32(13)).astype(np.int64) % BUCKETS, w) for k, (h, w) in enumerate(groups)]
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """For each word with a letter the sum of its n-grams' rows over the root of their number."""
+        total = np.zeros((len(self.rows), table.shape[1]), np.float32)
+        n = np.zeros(len(self.rows))
+        for bucket, word in self.groups:
+            if len(word):
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                total[word[first]] += np.add.reduceat(table[bucket], first, axis=0)
+                n += np.bincount(word, minlength=len(n))
+        return total / np.sqrt(np.maximum(n, 1))[:, None].astype(np.float32)
 
 
 @dataclass
@@ -99,24 +135,13 @@ class Model:
     def features(self, words: list[str]) -> np.ndarray:
         """For each word: its letters, then its score in each language, 0 for the best."""
         out = np.zeros((len(words), 1 + len(self.languages)), np.float32)
-        flat, size, rows, kinds = [], [], [], []
-        for k, word in enumerate(words):
-            letters = "".join(_LETTERS(word.lower()))
-            if letters:
-                out[k, 0] = len(letters)
-                own = grams(letters)
-                flat += own
-                size.append(len(own))
-                rows.append(k)
-                kinds.append(script(letters[0]))
-        if rows:
-            starts = np.cumsum(size) - size
-            score = np.add.reduceat(self.table[flat], starts, axis=0) / np.sqrt(size)[:, None]
-            allowed = self.scripts[kinds]
+        grams = Grams(words)
+        if len(grams.rows):
+            out[:, 0] = grams.letters
+            allowed = self.scripts[grams.script]
             known = (allowed == 0).any(axis=1)
-            score = np.where(known[:, None], score + allowed, self.prior[None, :])
-            score = np.maximum(score - score.max(axis=1, keepdims=True), -30.0)
-            out[rows, 1:] = score
+            score = np.where(known[:, None], grams.sums(self.table) + allowed, self.prior[None, :])
+            out[grams.rows, 1:] = np.maximum(score - score.max(axis=1, keepdims=True), -30.0)
         return out
 
 
@@ -126,16 +151,16 @@ def learn(rows: list[tuple[str, str]]) -> Model:
     counts = np.zeros((len(languages), BUCKETS))
     scripts = np.zeros((len(SCRIPT_NAMES), len(languages)))
     prior = np.zeros(len(languages))
-    known: dict[str, tuple[list[int], int]] = {}
-    for text, lang in rows:
-        k, flat = languages.index(lang), []
-        prior[k] += 1
-        for word in _LETTERS(text.lower()):
-            if word not in known:
-                known[word] = grams(word), script(word[0])
-            flat += known[word][0]
-            scripts[known[word][1], k] += 1
-        counts[k] += np.bincount(flat, minlength=BUCKETS) if flat else 0
+    for k, lang in enumerate(languages):
+        texts = [t for t, own in rows if own == lang]
+        prior[k] = len(texts)
+        for a, b in chunks([len(t) for t in texts]):
+            words = Words(texts[a:b])
+            grams = Grams(words.distinct)
+            seen = np.bincount(words.at, minlength=len(words.distinct))[grams.rows]
+            for bucket, word in grams.groups:
+                counts[k] += np.bincount(bucket, weights=seen[word], minlength=BUCKETS)
+            scripts[:, k] += np.bincount(grams.script, weights=seen, minlength=len(SCRIPT_NAMES))
     table = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).T.astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
     share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
     return Model(languages, table, np.where(share >= SCRIPT_SHARE, 0.0, -np.inf).astype(np.float32), np.log(np.maximum(prior, 1) / max(prior.sum(), 1)).astype(np.float32))
@@ -187,6 +212,18 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -
     return label
 
 
+_STORES: dict[int, tuple[Model, Features]] = {}
+
+
+def _kept(shared: Broadcast) -> tuple[Model, Features]:
+    """A worker's model and its store of scored words, kept from task to task."""
+    key = hash((shared.value.table[:512].tobytes(), tuple(shared.value.languages)))
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = shared.value, Features(shared.value.features)
+    return _STORES[key]
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 OUTPUTS = (T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPAN))
 
@@ -231,8 +268,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tru
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x LANGUAGES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        store = Features(own.features)
+        own, store = _kept(shared)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for a, b in chunks(_text_sizes(batch.column(at))):
