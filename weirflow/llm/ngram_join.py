@@ -29,6 +29,7 @@ hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -49,7 +50,7 @@ from weirflow.llm.words import Features, Words
 WIDTH = 5
 PERCENT = 75
 #: Counters of the sketch that orders shingles, and bits of the filter of shared keys.
-SKETCH = 1 << 22
+SKETCH = 1 << 21
 FILTER_BITS = 1 << 26
 SLICES = 32
 #: Largest set size for which subsets are considered at all.
@@ -58,6 +59,8 @@ SUBSET_MOST = 16
 ENTRY_COST = 4.0
 #: Bits of the parity bitmap.
 BITMAP = 1024
+#: Up to so many rows (class, doc_id, hash) a side is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15 | 1, k + 1, 1 << 64) for k in range(64)], np.uint64)
@@ -171,25 +174,24 @@ def bitmap(s: np.ndarray) -> bytes:
 # -- fixed-size summaries of all rows -------------------------------------------
 
 
-def _summed(parts: DataFrame, kind: str, join: str) -> dict[int, np.ndarray]:
-    """An array of each slice out of the slices (``k``, ``v``) that the tasks have made, added or or-ed."""
+def _packed(slices: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"k": pa.array(range(len(slices)), pa.int32()), "v": pa.array([zlib.compress(x.tobytes(), 1) for x in slices], pa.binary())})
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _merged(parts: DataFrame, kind: str, merge: np.ufunc) -> dict[int, np.ndarray]:
+    """Each slice of the arrays (``k``, ``v``) that the tasks have made, merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(v, kind)
-                if k not in got:
-                    got[k] = new.copy()
-                elif join == "add":
-                    got[k] = np.minimum(got[k].astype(np.int64) + new, np.iinfo(kind).max).astype(kind)
-                else:
-                    got[k] |= new
+                new = np.frombuffer(zlib.decompress(v), kind)
+                got[k] = merge(got[k], new) if k in got else new
         if got:
-            yield pa.RecordBatch.from_pydict({"k": pa.array(list(got), pa.int32()), "v": pa.array([x.tobytes() for x in got.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(list(got), pa.int32()), "v": pa.array([zlib.compress(x.tobytes(), 1) for x in got.values()], pa.binary())})
 
-    rows = parts.repartition(SLICES, "k").mapInArrow(merge, "k int, v binary").collect()
-    return {r["k"]: np.frombuffer(r["v"], kind) for r in rows}
+    rows = parts.repartition(SLICES, "k").mapInArrow(run, "k int, v binary").collect()
+    return {r["k"]: np.frombuffer(zlib.decompress(r["v"]), kind) for r in rows}
 
 
 def summaries(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
@@ -197,26 +199,19 @@ def summaries(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     sizes = 2 * SUBSET_MOST
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, cells, hist = Sets(), np.zeros(SKETCH, np.uint16), np.zeros(sizes + 1, np.int64)
+        sets, cells, hist = Sets(), np.zeros(SKETCH, np.int64), np.zeros(sizes + 1, np.int64)
         for batch in batches:
             texts = batch.column(0)
             for a, b in chunks(_text_sizes(texts)):
                 own = sets.of(texts.slice(a, b - a))
-                every = np.concatenate(own) if own else np.empty(0, np.uint64)
-                got, n = np.unique(every % np.uint64(SKETCH), return_counts=True)
-                at = got.astype(np.int64)
-                cells[at] = np.minimum(cells[at].astype(np.int64) + n, 65535).astype(np.uint16)
-                for s in own:
-                    if len(s) <= sizes:
-                        hist[len(s)] += 1
-        yield pa.RecordBatch.from_pydict({"k": pa.array([*range(SLICES), SLICES], pa.int32()), "v": pa.array([*[x.tobytes() for x in np.split(cells, SLICES)], hist.tobytes()], pa.binary())})
-
-    parts = cut(docs.select("text").mapInArrow(count, "k int, v binary"))
-    slices = _summed(parts.where(F.col("k") < SLICES), "uint16", "add")
-    hist = _summed(parts.where(F.col("k") == SLICES), "int64", "add")
-    empty = np.zeros(SKETCH // SLICES, np.uint16)
-    counts = hist.get(SLICES, np.zeros(sizes + 1, np.int64))
-    return np.concatenate([slices.get(k, empty) for k in range(SLICES)]), {n: int(c) for n, c in enumerate(counts) if c}
+                cells += np.bincount((np.concatenate(own) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) if own else 0
+                hist += np.bincount([len(s) for s in own if len(s) <= sizes], minlength=sizes + 1)
+        yield _packed([*np.split(cells, SLICES), hist])
+
+    got = _merged(docs.select("text").mapInArrow(count, "k int, v binary"), "int64", np.add)
+    empty = np.zeros(SKETCH // SLICES, np.int64)
+    sketch = np.concatenate([got.get(k, empty) for k in range(SLICES)])
+    return np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32), {n: int(c) for n, c in enumerate(got.get(SLICES, [])) if c}
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
@@ -228,11 +223,11 @@ def key_filter(keys: DataFrame) -> np.ndarray:
             at = _bits(batch.column(0).to_numpy())
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if bits.any():
-            yield pa.RecordBatch.from_pydict({"k": pa.array(range(SLICES), pa.int32()), "v": pa.array([x.tobytes() for x in np.split(bits, SLICES)], pa.binary())})
+            yield _packed(np.split(bits, SLICES))
 
-    slices = _summed(keys.mapInArrow(mark, "k int, v binary"), "uint8", "or")
+    got = _merged(keys.mapInArrow(mark, "k int, v binary"), "uint8", np.bitwise_or)
     empty = np.zeros(FILTER_BITS // 8 // SLICES, np.uint8)
-    return np.concatenate([slices.get(k, empty) for k in range(SLICES)])
+    return np.concatenate([got.get(k, empty) for k in range(SLICES)])
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
@@ -287,12 +282,12 @@ def list_members(rows: DataFrame) -> DataFrame:
     return cut(few.distinct().join(multi, "key"))
 
 
-def candidate_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``class``, ``shingles`` for the classes that have a list entry, from one document of each."""
-    wanted = members.select("class").distinct()
-    some = rows.join(wanted, "class").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class``, ``shingles`` for ``wanted`` classes, from the one document that each names."""
+    few = wanted.select("class", "one")
+    few = F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
     texts = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__t"), "text")
-    texts = some.join(texts, F.col("one.doc_id").eqNullSafe(F.col("__d")) & (F.col("one.text_hash") == F.col("__t"))).select("class", "text")
+    texts = texts.join(few, F.col("one.doc_id").eqNullSafe(F.col("__d")) & (F.col("one.text_hash") == F.col("__t"))).select("class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets()
@@ -301,11 +296,11 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> Data
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_pydict({"class": part.column(0), "shingles": pa.array([s.tobytes() for s in sets.of(part.column(1))], pa.binary())})
 
-    return cut(texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"]))
+    return texts.mapInArrow(run, "class long, shingles binary")
 
 
-def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a`` < ``b``) that link: sizes, then bitmaps, then sets decide."""
+def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (``a`` < ``b``) that link: sizes, then bitmaps, then the sets of those left decide."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     left, right = (info.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     sized = one.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
@@ -320,7 +315,9 @@ def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
             keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in "ab"})
 
-    close = sized.mapInArrow(near, "a long, b long")
+    close = cut(sized.mapInArrow(near, "a long, b long"))
+    wanted = close.select(F.col("a").alias("class")).union(close.select("b")).distinct()
+    sets = cut(shingle_sets(docs, info.join(wanted, "class")))
     full = close.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +329,7 @@ def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"})
 
-    return cut(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+    return cut(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct())
 
 
 def across(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -351,11 +348,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch, histogram = summaries(docs)
     rows = cut(class_rows(docs, sketch, boundary(histogram)))
     members = list_members(rows)
-    info = cut(rows.join(members.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits")))
-    sets = candidate_sets(docs, rows, members)
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    info = cut(rows.select("class", "n", "bits", "doc_id", "text_hash").join(members.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), one))
     first = members.groupBy("key").agg(F.min("class").alias("b"))
-    found = verified(members.select("key", F.col("class").alias("a")).join(first, "key").select("a", "b"), info, sets)
-    more = verified(across(members, components(found)), info, sets)
+    found = verified(members.select("key", F.col("class").alias("a")).join(first, "key").select("a", "b"), info, docs)
+    more = verified(across(members, components(found)), info, docs)
     return rows, components(found.union(more))
 
 
