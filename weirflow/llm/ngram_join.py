@@ -13,7 +13,7 @@ comes from a fixed-size count sketch of all shingles; it only orders, so its
 errors cost time and never links.
 
 Lists.  Keys met in two classes or more are inverted into lists.  A first round
-compares every member with its list's first class; links are merged into
+compares every member with three classes of its list; links are merged into
 components; a second round compares, within each list, those outside of its
 largest component with all members of other components.  All other pairs of a
 list are in one component by then, so no link between components is missed and
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.bpe import _text_sizes, chunks
@@ -165,10 +165,10 @@ def keys_of(s: np.ndarray, sketch: np.ndarray, x: int, percent: int = PERCENT) -
     return keys.view(np.int64)
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray) -> np.ndarray:
     """Parity of the shingles in each of BITMAP cells; cells that differ are shingles that differ, or more."""
     cells = np.bincount(((s >> np.uint64(17)) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-    return np.packbits(cells.astype(np.uint8)).tobytes()
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
 # -- fixed-size summaries of all rows -------------------------------------------
@@ -236,7 +236,7 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 
 # -- join -----------------------------------------------------------------------
 
-_ROWS = "doc_id long, text_hash long, n long, class long, bits binary, keys array<long>"
+_ROWS = "doc_id long, text_hash long, n long, class long, bits array<long>, keys array<long>"
 
 
 def class_rows(docs: DataFrame, sketch: np.ndarray, x: int) -> DataFrame:
@@ -254,7 +254,7 @@ def class_rows(docs: DataFrame, sketch: np.ndarray, x: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64()),
-                        pa.array([bitmap(s) for s in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys), pa.int64())),
+                        pa.array([bitmap(s) for s in own], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys), pa.int64())),
                     ],
                     ["doc_id", "text_hash", "n", "class", "bits", "keys"],
                 )
@@ -303,19 +303,7 @@ def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (``a`` < ``b``) that link: sizes, then bitmaps, then the sets of those left decide."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     left, right = (info.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-    sized = one.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bitsa", "bitsb"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep)) for c in "ab"})
-
-    close = cut(sized.mapInArrow(near, "a long, b long"))
+    close = cut(one.join(left, "a").join(right, "b").where(may_link("na", "nb", "bitsa", "bitsb")).select("a", "b"))
     wanted = close.select(F.col("a").alias("class")).union(close.select("b")).distinct()
     sets = cut(shingle_sets(docs, info.join(wanted, "class")))
     full = close.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
@@ -332,15 +320,29 @@ def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct())
 
 
-def across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a list's members that aren't in one component, one of them outside of the list's largest."""
+def may_link(na: str, nb: str, bits_a: str, bits_b: str) -> Column:
+    """False only for pairs that can't link, by their sizes or by the cells in which their bitmaps differ."""
+    apart = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(BITMAP // 64)), F.lit(0))
+    fits = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    return fits & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col(na) + F.col(nb)))
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Each list's members with three of its classes, picked by three orders."""
+    picks = F.array_distinct(F.array(F.min("class"), F.max("class"), F.min_by("class", F.xxhash64("class"))))
+    return members.join(members.groupBy("key").agg(picks.alias("picks")), "key").select(F.col("class").alias("a"), F.explode("picks").alias("b"))
+
+
+def across(members: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs of a list's members that may link and aren't in one component, one of them outside of the list's largest."""
     found = members.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
     sizes = found.groupBy("key", "label").count()
     largest = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
-    open_lists = largest.where("labels > 1").select("key", F.col("top.label").alias("top"))
-    found = found.join(open_lists, "key")
-    outside = found.where("label <> top").select("key", F.col("class").alias("a"), F.col("label").alias("la"))
-    return outside.join(found.select("key", F.col("class").alias("b"), "label"), "key").where("la <> label").select("a", "b").distinct()
+    found = found.join(largest.where("labels > 1").select("key", F.col("top.label").alias("top")), "key").join(info.select("class", "n", "bits"), "class")
+    outside = found.where("label <> top").select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
+    every = found.select(F.col("key").alias("other"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))
+    pairs = outside.join(every, (F.col("key") == F.col("other")) & (F.col("la") != F.col("lb")) & may_link("na", "nb", "bitsa", "bitsb"))
+    return pairs.select("a", "b").distinct()
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -350,9 +352,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = list_members(rows)
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     info = cut(rows.select("class", "n", "bits", "doc_id", "text_hash").join(members.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), one))
-    first = members.groupBy("key").agg(F.min("class").alias("b"))
-    found = verified(members.select("key", F.col("class").alias("a")).join(first, "key").select("a", "b"), info, docs)
-    more = verified(across(members, components(found)), info, docs)
+    found = verified(stars(members), info, docs)
+    more = verified(across(members, components(found), info), info, docs)
     return rows, components(found.union(more))
 
 
