@@ -13,12 +13,13 @@ comes from a fixed-size count sketch of all shingles; it only orders, so its
 errors cost time and never links.
 
 Lists.  Keys met in two classes or more are inverted into lists.  A first round
-compares every member with three classes of its list; links are merged into
-components; a second round compares, within each list, those outside of its
-largest component with all members of other components.  All other pairs of a
-list are in one component by then, so no link between components is missed and
-no group of copies is expanded into all its pairs.  Candidates pass a bound from
-parity bitmaps (never too strict), then exact sets decide.
+compares every member with three classes of its list, and links are merged into
+components.  Pairs of members not picked are left: further rounds compare those
+outside of their list's largest component with some of its members, the last one
+with all members of other components.  Any other pair of a list is in one
+component by then, so no link between components is missed and no group of
+copies is expanded into all its pairs.  Candidates pass a bound from parity
+bitmaps (never too strict), then exact sets decide.
 
 Defined results: null, empty and blank texts have an empty set and are their own
 component; fewer words than five are one shingle; repeated rows share a class; a
@@ -57,6 +58,8 @@ SLICES = 32
 SUBSET_MOST = 16
 #: What a list entry costs in subset keys: it is counted, fetched and checked.
 ENTRY_COST = 4.0
+#: Rounds that compare a list's unlinked members with a few others, before the one that compares what is left.
+TURNS = 2
 #: Bits of the parity bitmap.
 BITMAP = 1024
 #: Up to so many rows (class, doc_id, hash) a side is broadcast; beyond, it is joined by a shuffle.
@@ -327,18 +330,36 @@ def may_link(na: str, nb: str, bits_a: str, bits_b: str) -> Column:
     return fits & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col(na) + F.col(nb)))
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Each list's members with three of its classes, picked by three orders."""
+def stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each list's members with three of its classes; and the members of which pairs are left, those not picked where two or more are."""
     picks = F.array_distinct(F.array(F.min("class"), F.max("class"), F.min_by("class", F.xxhash64("class"))))
-    return members.join(members.groupBy("key").agg(picks.alias("picks")), "key").select(F.col("class").alias("a"), F.explode("picks").alias("b"))
+    lists = members.groupBy("key").agg(picks.alias("picks"), F.count("*").alias("n"))
+    pairs = members.join(lists, "key").select(F.col("class").alias("a"), F.explode("picks").alias("b"))
+    left = members.join(lists.where(F.col("n") - F.size("picks") > 1), "key").where(~F.array_contains("picks", F.col("class")))
+    return pairs, cut(left.select("key", "class"))
 
 
-def across(members: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs of a list's members that may link and aren't in one component, one of them outside of the list's largest."""
-    found = members.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+def parted(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key``, ``class``, ``label`` and the list's largest component ``top``, for lists of several components."""
+    found = left.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("label", "class").alias("label"))
     sizes = found.groupBy("key", "label").count()
     largest = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels"))
-    found = found.join(largest.where("labels > 1").select("key", F.col("top.label").alias("top")), "key").join(info.select("class", "n", "bits"), "class")
+    return found.join(largest.where("labels > 1").select("key", F.col("top.label").alias("top")), "key")
+
+
+def to_some(found: DataFrame, turn: int, picks: int = 4) -> DataFrame:
+    """Members outside of a list's largest component with some classes of it and some from outside, others each turn."""
+
+    def some(inside: str) -> list[Column]:
+        return [F.min_by(F.expr(f"CASE WHEN {inside} THEN class END"), F.when(F.expr(inside), F.xxhash64("class", F.lit(turn * picks + k)))) for k in range(picks)]
+
+    of = found.groupBy("key").agg(F.array_distinct(F.array_compact(F.array(*some("label = top"), *some("label <> top")))).alias("picks"))
+    return found.where("label <> top").join(of, "key").select(F.col("class").alias("a"), F.explode("picks").alias("b"))
+
+
+def across(found: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs of a list's members that may link and aren't in one component, one of them outside of the list's largest."""
+    found = found.join(info.select("class", "n", "bits"), "class")
     outside = found.where("label <> top").select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
     every = found.select(F.col("key").alias("other"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("bits").alias("bitsb"))
     pairs = outside.join(every, (F.col("key") == F.col("other")) & (F.col("la") != F.col("lb")) & may_link("na", "nb", "bitsa", "bitsb"))
@@ -352,9 +373,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = list_members(rows)
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     info = cut(rows.select("class", "n", "bits", "doc_id", "text_hash").join(members.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), one))
-    found = verified(stars(members), info, docs)
-    more = verified(across(members, components(found), info), info, docs)
-    return rows, components(found.union(more))
+    pairs, left = stars(members)
+    found = verified(pairs, info, docs)
+    if not left.isEmpty():
+        for turn in range(TURNS):
+            found = cut(found.union(verified(to_some(parted(left, components(found)), turn), info, docs)))
+        found = cut(found.union(verified(across(parted(left, components(found)), info), info, docs)))
+    return rows, components(found)
 
 
 def join(docs: DataFrame) -> DataFrame:
