@@ -139,10 +139,9 @@ def test_line_dedup(spark):
             lines.append("".join(c))
     rows = [(k, "\n".join(rng.choices(lines, k=rng.randint(1, 8)))) for k in range(60)] + [(60, None), (61, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    import duckdb
-
     own = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= line_dedup.SHORTEST and x.strip()})
-    near = duckdb.connect().execute("SELECT a.i, b.i FROM (SELECT unnest(range(len($1))) i, unnest($1) x) a, (SELECT unnest(range(len($1))) i, unnest($1) x) b WHERE a.i < b.i AND levenshtein(a.x, b.x) <= 2", [own]).fetchall()
+    left, right = (spark.createDataFrame(list(enumerate(own)), f"{c} int, {c}x string") for c in "ab")
+    near = [tuple(r) for r in left.join(right, F.expr("a < b AND levenshtein(ax, bx) <= 2")).select("a", "b").collect()]
     parent = list(range(len(own)))
 
     def find(x):

@@ -231,10 +231,10 @@ OUTPUTS = (T.StructField("lang_pred", T.StringType()), T.StructField("score", T.
 def label_texts(model: Model, store: Features, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, Words]:
     """Language and score of each text, and the language of each word."""
     words = Words(texts)
+    n, langs = len(words), len(model.languages)
+    if not langs or not len(words.at):
+        return [UND] * n, np.zeros(n), np.zeros(len(words.at), np.int8), words
     rows = store.of(words.distinct)[words.at]
-    n, langs = len(words), max(len(model.languages), 1)
-    if not model.languages or not len(rows):
-        return [UND] * n, np.zeros(n), np.zeros(len(rows), np.int8), words
     letters, scores = rows[:, 0], rows[:, 1:]
     label = viterbi(scores, words.offsets)
     odds = np.exp(scores)
