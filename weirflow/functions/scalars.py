@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tags(text: Column) -> Column:
     """Comma-separated tags: trimmed, blanks dropped, first ones kept, joined by a comma and a space."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda t: F.trim(t))
     return F.array_join(F.array_distinct(F.filter(parts, lambda t: t != "")), ", ")
 
 
