@@ -228,9 +228,9 @@ SPAN = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.Struct
 OUTPUTS = (T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPAN))
 
 
-def label_texts(model: Model, store: Features, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, Words]:
+def label_texts(model: Model, store: Features, texts: pa.Array | Words) -> tuple[list[str], np.ndarray, np.ndarray, Words]:
     """Language and score of each text, and the language of each word."""
-    words = Words(texts)
+    words = texts if isinstance(texts, Words) else Words(texts)
     n, langs = len(words), len(model.languages)
     if not langs or not len(words.at):
         return [UND] * n, np.zeros(n), np.zeros(len(words.at), np.int8), words

@@ -17,8 +17,7 @@ class Words:
 
     def __init__(self, texts: Sequence[str | None] | pa.Array):
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"[\s\x0b]", " ")
-        cut = pc.split_pattern(texts, " ")
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         offsets = cut.offsets.to_numpy().astype(np.int64)
         flat = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
         full = pc.not_equal(flat, "")
