@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: First-level groups of a bounded sample, for each group that is sampled.
+SALTS = 256
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +39,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def least_of_each(rows: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:
+    """At most ``most`` rows of each group, the least by ``order``.
+
+    First the least of every salt are kept, then the least of those: no task
+    sorts more than one salt's rows, or SALTS * ``most`` of them.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    for by in ([group, "__salt"], [group]):
+        salted = salted.withColumn("__k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= most)
+    return salted.drop("__salt", "__k")
+
+
 def has_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the folder that the session names; only without one (as in tests) sets a local one."""
     sc = spark.sparkContext
