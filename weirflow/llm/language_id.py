@@ -29,12 +29,11 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.llm.bpe import _text_sizes, chunks
-from weirflow.llm.common import held_out, read_table
+from weirflow.llm.common import held_out, least_of_each, read_table
 from weirflow.llm.words import Features, Words
 
 #: Learning rows of each language at most.
@@ -167,12 +166,17 @@ def learn(rows: list[tuple[str, str]]) -> Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` rows of each language."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    """Learns from at most ``sample`` different texts of each language.
+
+    Only hashes are sorted; the texts of those picked are fetched by a broadcast
+    of the picks, at most LANGUAGES * ``sample`` rows.
+    """
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
     top = [r["l"] for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    pick = W.partitionBy("l").orderBy(F.xxhash64("t"), "t")
-    rows = labelled.where(F.col("l").isin(top)).withColumn("k", F.row_number().over(pick)).where(F.col("k") <= sample)
-    return learn([(r["t"], r["l"]) for r in rows.select("t", "l").collect()])
+    labelled = labelled.where(F.col("l").isin(top))
+    picks = least_of_each(labelled.select("l", "h").distinct(), "l", ["h"], sample)
+    rows = labelled.join(F.broadcast(picks), ["l", "h"]).dropDuplicates(["l", "h"])
+    return learn([(r["t"], r["l"]) for r in rows.orderBy("l", "h").select("t", "l").collect()])
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
