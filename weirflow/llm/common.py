@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: First-level groups of a bounded sample, for each group that is sampled.
-SALTS = 256
+#: Parts of a group, level by level, from which a bounded sample is picked.
+SALTS = (256, 16, 1)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,13 @@ def held_out(doc_id: Column) -> Column:
 def least_of_each(rows: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:
     """At most ``most`` rows of each group, the least by ``order``.
 
-    First the least of every salt are kept, then the least of those: no task
-    sorts more than one salt's rows, or SALTS * ``most`` of them.
+    Each level keeps the least of every salt for the next, coarser one: after
+    the first, no task sorts more than 16 * ``most`` rows of a group.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    for by in ([group, "__salt"], [group]):
-        salted = salted.withColumn("__k", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= most)
+    salted = rows.withColumn("__salt", F.xxhash64(*order))
+    for parts in SALTS:
+        salted = salted.withColumn("__salt", F.pmod("__salt", F.lit(parts)))
+        salted = salted.withColumn("__k", F.row_number().over(W.partitionBy(group, "__salt").orderBy(*order))).where(F.col("__k") <= most)
     return salted.drop("__salt", "__k")
 
 
