@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``label``, the least node that it reaches, for every node of an edge.
 
-    Each round hooks a node to the least label among its neighbours and then
-    follows labels to their own labels, which halves the depth.  A round is one
-    checkpoint; nothing but the count of changes reaches the driver.
+    Each round takes the labels' own labels, finds the least of them among a
+    node's neighbours, and lowers to it the node and the node's label, so whole
+    trees are hooked and their depth is halved.  Labels only fall; the round that
+    changes none is the last.  A round is one checkpoint; nothing but whether a
+    label changed reaches the driver.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a)))
     both = cut(both.where("node <> other").distinct())
-    labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
-    for _ in range(most):
-        labels = cut(labels)
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        after = cut(hooked.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("next", "to")).alias("label")))
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    while True:
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = labels.join(jump, "label").select("node", "label", "next")
+        near = both.join(jumped.select(F.col("node").alias("other"), "next"), "other").groupBy("node").agg(F.min("next").alias("near"))
+        hooked = jumped.join(near, "node").select("node", F.col("label").alias("was"), F.least("next", "near").alias("to"))
+        roots = hooked.groupBy(F.col("was").alias("node")).agg(F.min("to").alias("root"))
+        after = cut(hooked.join(roots, "node", "left").select("node", "was", F.least("to", "root").alias("label")))
         labels = after.select("node", "label")
         if after.where("label <> was").isEmpty():
             return labels
-    raise RuntimeError(f"no fixed point after {most} rounds")
