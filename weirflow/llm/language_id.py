@@ -43,7 +43,7 @@ LANGUAGES = 64
 BUCKETS = 1 << 16
 #: What a change of language costs, in nats.
 PENALTY = 6.0
-#: A script's languages are those with at least this share of it in learning.
+#: A script's languages are those with at least this share of their own words in it in learning.
 SCRIPT_SHARE = 0.001
 UND = "und"
 #: Fixed ranges of code points, first match wins; letters elsewhere are "other".
@@ -161,7 +161,7 @@ def learn(rows: list[tuple[str, str]]) -> Model:
                 counts[k] += np.bincount(bucket, weights=seen[word], minlength=BUCKETS)
             scripts[:, k] += np.bincount(grams.script, weights=seen, minlength=len(SCRIPT_NAMES))
     table = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).T.astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
-    share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
+    share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     return Model(languages, table, np.where(share >= SCRIPT_SHARE, 0.0, -np.inf).astype(np.float32), np.log(np.maximum(prior, 1) / max(prior.sum(), 1)).astype(np.float32))
 
 
