@@ -8,7 +8,10 @@ with the most letters in its spans; the score is its share of the letters times
 the mean probability of its words' scores.
 
 The table is learned in numpy from a bounded sample of labelled rows, at most
-``SAMPLE`` of each language, smallest hash first.
+``SAMPLE`` of each language, smallest hash first.  Every language is learned;
+beyond ``LANGUAGES`` of them each has fewer rows, so that all together stay at
+LANGUAGES * SAMPLE or one a language, and texts are scored in smaller chunks.
+The table has BUCKETS numbers a language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and no spans; letters in a script that wasn't learned score alike in every
@@ -32,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.bpe import _text_sizes, chunks
+from weirflow.llm.bpe import CHUNK_BYTES, _text_sizes, chunks
 from weirflow.llm.common import held_out, least_of_each, read_table
-from weirflow.llm.words import Features, Words
+from weirflow.llm.words import CACHE_WORDS, Features, Words
 
 #: Learning rows of each language at most.
 SAMPLE = 400
-#: Languages at most, the most frequent first.
+#: Languages that are learned from ``SAMPLE`` rows each; more share as many rows.
 LANGUAGES = 64
 BUCKETS = 1 << 16
 #: What a change of language costs, in nats.
@@ -131,6 +134,10 @@ class Model:
     scripts: np.ndarray  # scripts x languages, 0 or minus infinity
     prior: np.ndarray
 
+    def fitting(self, most: int) -> int:
+        """``most`` rows or bytes, fewer by the languages beyond LANGUAGES, as each row has a score a language."""
+        return max(1, most * LANGUAGES // max(len(self.languages), LANGUAGES))
+
     def features(self, words: list[str]) -> np.ndarray:
         """For each word: its letters, then its score in each language, 0 for the best."""
         out = np.zeros((len(words), 1 + len(self.languages)), np.float32)
@@ -147,34 +154,38 @@ class Model:
 def learn(rows: list[tuple[str, str]]) -> Model:
     """From (text, language) pairs."""
     languages = sorted({lang for _, lang in rows})
-    counts = np.zeros((len(languages), BUCKETS))
+    table = np.empty((BUCKETS, len(languages)), np.float32)
     scripts = np.zeros((len(SCRIPT_NAMES), len(languages)))
     prior = np.zeros(len(languages))
+    texts_of: dict[str, list[str]] = {lang: [] for lang in languages}
+    for t, lang in rows:
+        texts_of[lang].append(t)
     for k, lang in enumerate(languages):
-        texts = [t for t, own in rows if own == lang]
+        texts = texts_of[lang]
         prior[k] = len(texts)
+        counts = np.zeros(BUCKETS)
         for a, b in chunks([len(t) for t in texts]):
             words = Words(texts[a:b])
             grams = Grams(words.distinct)
             seen = np.bincount(words.at, minlength=len(words.distinct))[grams.rows]
             for bucket, word in grams.groups:
-                counts[k] += np.bincount(bucket, weights=seen[word], minlength=BUCKETS)
+                counts += np.bincount(bucket, weights=seen[word], minlength=BUCKETS)
             scripts[:, k] += np.bincount(grams.script, weights=seen, minlength=len(SCRIPT_NAMES))
-    table = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).T.astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
+        table[:, k] = np.log((counts + 0.1) / (counts.sum() + 0.1 * BUCKETS))
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     return Model(languages, table, np.where(share >= SCRIPT_SHARE, 0.0, -np.inf).astype(np.float32), np.log(np.maximum(prior, 1) / max(prior.sum(), 1)).astype(np.float32))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` different texts of each language.
+    """Learns every language from at most ``sample`` different texts of it.
 
     Only hashes are sorted; the texts of those picked are fetched by a broadcast
-    of the picks, at most LANGUAGES * ``sample`` rows.
+    of the picks, at most LANGUAGES * ``sample`` rows or one a language.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
-    top = [r["l"] for r in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    labelled = labelled.where(F.col("l").isin(top))
-    picks = least_of_each(labelled.select("l", "h").distinct(), "l", ["h"], sample)
+    languages = labelled.select("l").distinct().count()
+    each = max(1, sample * LANGUAGES // max(languages, LANGUAGES))
+    picks = least_of_each(labelled.select("l", "h").distinct(), "l", ["h"], each)
     rows = labelled.join(F.broadcast(picks), ["l", "h"]).dropDuplicates(["l", "h"])
     return learn([(r["t"], r["l"]) for r in rows.orderBy("l", "h").select("t", "l").collect()])
 
@@ -189,13 +200,14 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = PENALTY) -
     order = np.argsort(-size, kind="stable")
     start, size = offsets[:-1][order], size[order]
     langs = scores.shape[1]
-    label = np.zeros(len(scores), np.int8)
+    kind = np.min_scalar_type(max(langs - 1, 0))
+    label = np.zeros(len(scores), kind)
     if not len(scores) or langs < 2:
         return label
     alive = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts with more than t words
     best = scores[start[: alive[0]]].copy()
     switch = np.empty(scores.shape, bool)  # whether the word's language was entered by a change
-    origin = np.empty(len(scores), np.int8)  # the best language of the word before
+    origin = np.empty(len(scores), kind)  # the best language of the word before
     rows = np.arange(alive[0])
     for t in range(1, size[0]):
         n = alive[t]
@@ -224,7 +236,7 @@ def _kept(shared: Broadcast) -> tuple[Model, Features]:
     key = hash((shared.value.table[:512].tobytes(), tuple(shared.value.languages)))
     if key not in _STORES:
         _STORES.clear()
-        _STORES[key] = shared.value, Features(shared.value.features)
+        _STORES[key] = shared.value, Features(shared.value.features, shared.value.fitting(CACHE_WORDS))
     return _STORES[key]
 
 
@@ -269,13 +281,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tru
     new = OUTPUTS[: 3 if spans else 2]
     rows = docs.drop(*[f.name for f in new])
     schema = T.StructType([*rows.schema.fields, *new])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x LANGUAGES numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, store = _kept(shared)
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for a, b in chunks(_text_sizes(batch.column(at))):
+            for a, b in chunks(_text_sizes(batch.column(at)), own.fitting(CHUNK_BYTES)):
                 part = batch.slice(a, b - a)
                 lang, score, label, words = label_texts(own, store, part.column(at))
                 made = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]

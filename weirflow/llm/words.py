@@ -34,12 +34,12 @@ class Words:
 class Features:
     """A store of one feature row a word, made for words not met before."""
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray]):
-        self.make, self.known, self.rows = make, {}, None
+    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = CACHE_WORDS):
+        self.make, self.most, self.known, self.rows = make, most, {}, None
 
     def of(self, words: Sequence[str]) -> np.ndarray:
         """A row for each of the words."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.most:
             self.known, self.rows = {}, None
         new = [w for w in words if w not in self.known]
         if new:
