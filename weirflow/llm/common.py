@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Up to so many rows of a few longs a side is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 400_000
+#: A key of more than this part of all rows isn't joined by a shuffle.
+HEAVY = 100_000
+
 #: Parts of a group, level by level, from which a bounded sample is picked.
 SALTS = (256, 16, 1)
 
@@ -64,3 +69,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: what follows reads files that outlive any executor."""
     has_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if a count has shown that it fits."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, other: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table of one row a key, ``count`` being how many of the rows have it.
+
+    A small table is broadcast.  Of a larger one the commonest keys are, of which
+    there can't be more than ``HEAVY``; the rest is joined by a shuffle, in which no
+    key has more than that part of the rows.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), F.col(key) == F.col(other), how)
+    share = (table.agg(F.sum(count)).first()[0] or 0) / HEAVY
+    hot, cold = table.where(F.col(count) > share), table.where(F.col(count) <= share)
+    common = F.broadcast(hot.select(F.col(other).alias("__hot")))
+    first = rows.join(F.broadcast(hot), F.col(key) == F.col(other))
+    return first.unionByName(rows.join(common, F.col(key) == F.col("__hot"), "left_anti").join(cold, F.col(key) == F.col(other), how))
