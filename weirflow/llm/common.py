@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,18 +58,26 @@ def least_of_each(rows: DataFrame, group: str, order: Sequence[str], most: int)
     return salted.drop("__salt", "__k")
 
 
-def has_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the session names; only without one (as in tests) sets a local one."""
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a local one only for a local master without it, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weirflow-checkpoint-"))
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.gettempdir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: what follows reads files that outlive any executor."""
-    has_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder: what follows reads files that outlive any executor.
+
+    A table rather than a checkpoint, as a checkpoint keeps the estimated sizes of the
+    plan that it cuts.  Those of joins are products: in a loop the driver soon
+    multiplies numbers of millions of digits.  Files have true sizes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/weirflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:
