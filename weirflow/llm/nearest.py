@@ -19,7 +19,9 @@ Centres and codebooks are fitted in numpy on at most ``SAMPLE`` distinct vectors
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, or differ in length from the most common length, take no part;
-repeated rows of one id count once; with fewer candidates than k all are
+repeated rows of one id count once; of an id with several vectors a query takes
+the one of least hash, and the nearest of them counts as a candidate; vectors at
+equal distance come by id, among those that are reranked; with fewer candidates than k all are
 returned; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -232,13 +234,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "ve
                 yield pa.RecordBatch.from_arrays([taken.column("query_id"), taken.column("v"), pa.array(lists, pa.int32()), pa.array(block, pa.int32())], ["query_id", "v", "list", "block"])
 
     wanted = queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    wanted = wanted.where(F.col("query_id").isNotNull() & usable(F.col("v")) & (F.size("v") == width)).dropDuplicates(["query_id"])
+    wanted = wanted.where(F.col("query_id").isNotNull() & usable(F.col("v")) & (F.size("v") == width))
+    wanted = wanted.groupBy("query_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     visits = wanted.mapInArrow(probe, "query_id long, v array<double>, list int, block int")
-    per_list = F.lit(1)
-    for c, b in blocks.items():
-        if b > 1:
-            per_list = F.when(F.col("list") == c, F.lit(b)).otherwise(per_list)
-    stored = indexed.withColumn("block", F.pmod(F.col("h"), per_list).cast("int"))
+    per_list = F.broadcast(spark.createDataFrame([(int(c), int(b)) for c, b in blocks.items()], "list int, blocks long"))  # at most LISTS rows
+    stored = indexed.join(per_list, "list").withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).drop("blocks")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -246,6 +246,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "ve
             return empty
         own = shared.value
         x, ids = _matrix(left["v"]), left["ids"].to_pylist()
+        least = np.array([i[0] for i in ids])
         packed = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
         codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(x), -1)
         q, asked = _matrix(right["v"]), right["query_id"].to_pylist()
@@ -261,18 +262,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "ve
             best = np.argpartition(-guess, many - 1, axis=1)[:, :many]
             for r in range(len(part)):
                 d = np.sqrt(((x[best[r]] - part[r]) ** 2).sum(axis=1))
-                near = []
-                for j in np.argsort(d, kind="stable")[: min(many, 3 * k + 1)].tolist():
-                    near += [(float(d[j]), i) for i in ids[best[r, j]] if i != asked[at + r]]
-                out += [(asked[at + r], i, s) for s, i in sorted(near)[:k]]
+                near: dict[int, float] = {}
+                # entries by distance, ties by their least id: k + 1 of them hold k ids but the query's own, unless an id has several vectors
+                for j in np.lexsort((least[best[r]], d)).tolist():
+                    if len(near) >= k and d[j] > worst:
+                        break
+                    for i in ids[best[r, j]]:
+                        if i != asked[at + r]:
+                            near.setdefault(i, float(d[j]))
+                    worst = float(d[j])
+                out += [(asked[at + r], i, s) for s, i in sorted((s, i) for i, s in near.items())[:k]]
         if not out:
             return empty
         a, b, c = zip(*out, strict=True)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     found = stored.groupBy("list", "block").cogroup(visits.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    found = found.repartition("query_id")  # for both windows
+    once = F.row_number().over(W.partitionBy("query_id", "vec_id").orderBy("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = found.withColumn("once", once).where("once = 1").withColumn("rank", place)
+    return found.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
