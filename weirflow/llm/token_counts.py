@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe
-from weirflow.llm.common import read_table
+from weirflow.llm.common import cut, read_table
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 4096
@@ -91,4 +91,5 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of suffix sums over all documents."""
-    return suffix_sums(histogram(bpe.count(read_table(spark, sf_dir, "documents").select("text"))))
+    # read twice by the sums: one row a length is kept rather than all texts encoded again
+    return suffix_sums(cut(histogram(bpe.count(read_table(spark, sf_dir, "documents").select("text")))))
