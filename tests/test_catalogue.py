@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from weirflow.plans import catalogue
+from weirflow.plans import catalogue, catalogue_ops  # noqa: F401
 
 TOP = os.environ.get("WEIRFLOW_TEST_TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents".split()

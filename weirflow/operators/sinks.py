@@ -81,7 +81,8 @@ def write_graph(nodes: Mapping[str, DataFrame], relations: Sequence[Relation], f
     for r in sorted(relations, key=lambda r: r.deferred):
         names = made[r.parent].where(F.col(ref).isNotNull()).select(F.col(element).alias("__e"), F.col(ref).alias("__r"), F.col("id").alias("__id"))
         child = made[r.child]
-        asked = child.where(F.col(r.ref_column).isNotNull())
+        own = F.col(r.fk).isNotNull() if r.fk in child.columns else F.lit(False)
+        asked = child.where(F.col(r.ref_column).isNotNull() & ~own)
         on = (F.col(element) == F.col("__e")) & (F.col(r.ref_column) == F.col("__r"))
         if not asked.join(names, on, "left_anti").isEmpty():
             raise ValueError(f"{r.child}.{r.ref_column} names an unknown ref of {r.parent}")

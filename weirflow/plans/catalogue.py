@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirflow.functions import scalars
-from weirflow.operators import payloads, sinks
+from weirflow.functions import folds, scalars
+from weirflow.operators import payloads, registry, sinks
 from weirflow.operators.flow import apply, chain, results, task
 from weirflow.plans.compiler import compile_spec, parquet_dir
+from weirflow.sources import reads
 from weirflow.sources.reads import Rows, batches, page_after
 from weirflow.spec import QuerySpec
-from weirflow.streaming.resume import remaining
+from weirflow.streaming.resume import keyed, remaining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,13 +65,24 @@ spec_query("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders OR
 
 @query("SELECT count(*)::BIGINT AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' LIMIT 500)")
 def count_limited(t, spark):
-    return compile_spec(QuerySpec("orders", filters={"o_orderstatus": "F"}, limit=500), t, spark).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(reads.count(spark, t, QuerySpec("orders", filters={"o_orderstatus": "F"}, limit=500)),)], "n long")
 
 
-@query("SELECT o_orderkey, event_id FROM orders LEFT JOIN (SELECT event_id FROM events WHERE event_id % 7 = 0) e ON o_orderkey = event_id WHERE event_id IS NULL")
+def _some_null(t):
+    return lambda name: t(name).withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))) if name == "orders" else t(name)
+
+
+_NULLED = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey, o_totalprice FROM orders)"
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM {_NULLED} WHERE o_custkey IS NULL")
 def filter_is_null(t, spark):
-    e = t("events").where("event_id % 7 = 0").select("event_id")
-    return t("orders").join(e, F.col("o_orderkey") == F.col("event_id"), "left").where(F.col("event_id").isNull()).select("o_orderkey", "event_id")
+    return compile_spec(QuerySpec("orders", fields=("o_orderkey", "o_custkey"), filters={"o_custkey__is_null": True}), _some_null(t), spark)
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM {_NULLED} WHERE o_custkey IS NOT NULL")
+def filter_is_not_null(t, spark):
+    return compile_spec(QuerySpec("orders", fields=("o_orderkey", "o_custkey"), filters={"o_custkey__is_not_null": True}), _some_null(t), spark)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000")
@@ -85,9 +96,12 @@ def keyset_page(t, spark):
     return page_after(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 200)
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id <= (SELECT max(event_id) FROM events) AND event_id > 100")
+@query("SELECT event_id, user_id FROM events WHERE event_id <= 5000 AND event_id > 100")
 def rows_capped(t, spark):
-    return Rows(t("events").select("event_id", "user_id"), QuerySpec("events"), "event_id", {"after": 100}).frame()
+    events = t("events").select("event_id", "user_id")
+    state = {"after": 100}
+    Rows(events.where("event_id <= 5000"), QuerySpec("events"), "event_id", state).frame()
+    return Rows(events, QuerySpec("events"), "event_id", state).frame()  # rows that came later don't enter
 
 
 # -- joins, aggregates, windows ---------------------------------------------------
@@ -112,12 +126,16 @@ def latest_per_key(t, spark):
 
 @query("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def capability_ids(t, spark):
-    return t("orders").join(t("lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey").distinct()
+    flags = t("lineitem").select(F.col("l_orderkey").alias("artifact_id"), F.col("l_returnflag").alias("capability"))
+    known = registry.with_capability(flags, "R").withColumnRenamed("artifact_id", "o_orderkey")
+    return known.join(t("orders"), "o_orderkey", "left_semi")
 
 
-@query("SELECT o_orderkey, l_linenumber, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_returnflag = 'A'")
+@query("SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
 def artifact_find(t, spark):
-    return t("orders").where("o_orderstatus = 'F'").join(t("lineitem").where("l_returnflag = 'A'"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_returnflag")
+    flags = t("lineitem").select(F.col("l_orderkey").alias("artifact_id"), F.col("l_returnflag").alias("capability"))
+    artifacts = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "o_custkey", "o_orderpriority")
+    return registry.find(artifacts, {"o_orderpriority": "1-URGENT"}, "F", flags, "A").select("id", "o_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
@@ -129,13 +147,14 @@ def unreferenced_rows(t, spark):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) EXCEPT SELECT event_id FROM events WHERE event_type = 'click'")
 def set_difference(t, spark):
     have = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
-    return have.distinct().join(t("events").where("event_type = 'click'").select(F.col("event_id").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return folds.without(have, t("events").where("event_type = 'click'").select("event_id"), "o_orderkey")
 
 
 @query("SELECT 'order' AS node, o_orderkey AS id, o_totalprice AS amount, NULL::VARCHAR AS name FROM orders UNION ALL SELECT 'customer', c_custkey, NULL, c_name FROM customer")
 def union_nodes(t, spark):
-    a = t("orders").select(F.lit("order").alias("node"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
-    return a.unionByName(t("customer").select(F.lit("customer").alias("node"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), allowMissingColumns=True)
+    orders = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    customers = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return folds.union_nodes({"order": orders, "customer": customers})
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_linenumber * 10) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part_offset FROM lineitem")
@@ -157,17 +176,19 @@ def dead_share(t, spark):
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem GROUP BY l_returnflag")
 def line_fit(t, spark):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"))
+    fit = folds.line_fit(t("lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
+    return fit.select("l_returnflag", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("SELECT event_type, round(sum(value), 4) AS held, max(value) AS peak, round(avg(value), 6) AS mean, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+@query("SELECT event_type, round(sum(value * (event_id % 5 + 1)), 4) AS integral, max(value) AS peak, round(sum(value * (event_id % 5 + 1)) / sum(event_id % 5 + 1), 6) AS mean, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def usage_rollup(t, spark):
-    return t("events").groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("held"), F.max("value").alias("peak"), F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+    got = folds.usage(t("events").withColumn("seconds", F.col("event_id") % 5 + 1), ["event_type"], "seconds", "value")
+    return got.select("event_type", F.round("integral", 4).alias("integral"), "peak", F.round("mean", 6).alias("mean"), "n")
 
 
 @query("SELECT event_id, round(value / sum(value) OVER (PARTITION BY user_id), 8) AS share FROM events WHERE value > 0")
 def share_of_total(t, spark):
-    return t("events").where("value > 0").select("event_id", F.round(F.col("value") / F.sum("value").over(W.partitionBy("user_id")), 8).alias("share"))
+    return folds.share_of_total(t("events").where("value > 0"), "value", "user_id").select("event_id", F.round("share", 8).alias("share"))
 
 
 @query("SELECT n // 500 AS batch, count(*)::BIGINT AS n, min(event_id) AS first, max(event_id) AS last FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events) GROUP BY ALL")
@@ -178,22 +199,20 @@ def count_batches(t, spark):
 # -- functions ---------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT sha256(coalesce(lang, '') || '|' || coalesce(source, '')) AS key FROM documents")
+@query("""SELECT DISTINCT lang, source, sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS _key FROM documents""")
 def dedupe_content_key(t, spark):
-    d = t("documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    return d.select(F.sha2(F.concat_ws("|", "lang", "source"), 256).alias("key")).dropDuplicates(["key"])
+    return keyed(t("documents").select("source", "lang"))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_type, ' '), lambda x: trim(x)), lambda x: x <> ''), ', ') AS tags FROM part WHERE len(list_distinct(string_split(p_type, ' '))) = len(string_split(p_type, ' '))")
+@query("SELECT p_partkey, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ', ') AS tags FROM (SELECT p_partkey, list_filter(string_split(p_type || ' ' || p_name || ' ' || p_type, ' '), lambda x: x <> '') AS w FROM part)")
 def tags_normalise(t, spark):
-    p = t("part").where(F.size(F.array_distinct(F.split("p_type", " "))) == F.size(F.split("p_type", " ")))
-    return p.select("p_partkey", scalars.tags(F.regexp_replace("p_type", " ", " , ,")).alias("tags"))
+    words = F.concat_ws(" ", "p_type", "p_name", "p_type")
+    return t("part").select("p_partkey", scalars.tags(F.regexp_replace(words, " ", " , ,")).alias("tags"))
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lower(source) LIKE '%1%' OR lower(lang) LIKE '%1%' OR lower(doc_id::VARCHAR) LIKE '%1%' ORDER BY source, doc_id LIMIT 40 OFFSET 40")
 def project_search(t, spark):
-    hit = F.lower("source").contains("1") | F.lower("lang").contains("1") | F.lower(F.col("doc_id").cast("string")).contains("1")
-    return t("documents").where(hit).orderBy("source", "doc_id").offset(40).limit(40).select("doc_id", "lang", "source")
+    return registry.search(t("documents").select("doc_id", "lang", "source"), "1", ["source", "lang", "doc_id"], sort="source", page=1, key="doc_id")
 
 
 # -- writes -------------------------------------------------------------------------
@@ -271,9 +290,8 @@ def chain_nodes(t, spark):
     return results(apply(rows, steps, "node string, v bigint"))
 
 
-@query("WITH a AS (SELECT doc_id, n_chars FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 11 <> 0) SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'changed' END AS state FROM a LEFT JOIN b ON a.doc_id = b.doc_id WHERE b.doc_id IS NULL OR a.n_chars <> b.n_chars")
+@query("WITH a AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 13 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.n_chars <> b.n_chars")
 def manifest_diff(t, spark):
-    a = t("documents").select("doc_id", "n_chars")
-    b = t("documents").where("doc_id % 11 <> 0").select(F.col("doc_id").alias("d"), F.when(F.col("doc_id") % 9 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("m"))
-    both = a.join(b, F.col("doc_id") == F.col("d"), "left").where(F.col("d").isNull() | (F.col("n_chars") != F.col("m")))
-    return both.select("doc_id", F.when(F.col("d").isNull(), "missing").otherwise("changed").alias("state"))
+    docs = t("documents").select("doc_id", "n_chars")
+    found = docs.where("doc_id % 11 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 9 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return folds.manifest_diff(docs.where("doc_id % 13 <> 0"), found, "doc_id", ["n_chars"])

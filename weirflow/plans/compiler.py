@@ -127,12 +127,12 @@ def filtered(df: DataFrame, filters: Mapping[str, Any], tables: Tables, codecs:
     for c in plain:
         df = df if c is None else df.where(c)
     for name, sub, keep in joins:
-        df = _membership(df, name, compile_spec(sub, tables, df.sparkSession), keep)
+        df = _membership(df, name, compile_spec(sub, tables, df.sparkSession, codecs, mode, decode=False), keep)
     return df
 
 
-def compile_spec(spec: QuerySpec, tables: Tables, spark: SparkSession, codecs: Mapping[str, Codec] = {}, mode: str = "spec") -> DataFrame:
-    """The DataFrame of a spec; a raw query goes to SQL as it is."""
+def compile_spec(spec: QuerySpec, tables: Tables, spark: SparkSession, codecs: Mapping[str, Codec] = {}, mode: str = "spec", decode: bool = True) -> DataFrame:
+    """The DataFrame of a spec; a raw query goes to SQL as it is.  A subquery's values stay as they are stored."""
     if spec.query is not None:
         return spark.sql(spec.query, args=list(spec.params)) if spec.params else spark.sql(spec.query)
     df = filtered(tables(spec.table), spec.filters, tables, codecs, mode)
@@ -141,4 +141,4 @@ def compile_spec(spec: QuerySpec, tables: Tables, spark: SparkSession, codecs: M
     df = df.offset(spec.offset) if spec.offset else df
     df = df.limit(spec.limit) if spec.limit is not None else df
     df = df.select(*spec.fields) if spec.fields else df
-    return df.withColumns({c: k.decode(F.col(c)) for c, k in codecs.items() if c in df.columns})
+    return df.withColumns({c: k.decode(F.col(c)) for c, k in codecs.items() if c in df.columns}) if decode else df

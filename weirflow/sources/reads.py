@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,15 +44,36 @@ def page_after(df: DataFrame, key: str, after: Any, limit: int, ascending: bool
 
 
 def pages(df: DataFrame, key: str = "id", page_size: int = 500) -> Iterator[list[dict]]:
-    """Keyset pages; the key must be unique, or rows at a page's edge would be lost."""
-    if not df.groupBy(key).count().where("count > 1").isEmpty():
-        raise ValueError(f"{key} isn't unique")
+    """Keyset pages; of a key that comes twice a page holds all rows or none, so nothing is lost at its edge.
+
+    Without the key among the columns, rows come as a plain stream, cut to pages.
+    """
+    if key not in df.columns:
+        page: list[dict] = []
+        for r in df.toLocalIterator():
+            page.append(r.asDict())
+            if len(page) == page_size:
+                yield page
+                page = []
+        if page:
+            yield page
+        return
     after = None
     while got := page_after(df, key, after, page_size).collect():
-        after = got[-1][key]
+        last = got[-1][key]
+        if len(got) == page_size:  # the rest of the last key's rows
+            got = [r for r in got if r[key] != last] + df.where(F.col(key) == F.lit(last)).collect()
+        after = last
         yield [r.asDict() for r in got]
 
 
+def page_with_cursor(df: DataFrame, cursor: str, after: Any, limit: int, ascending: bool = True, fields: tuple[str, ...] = ()) -> tuple[list[dict], Any]:
+    """The page after a cursor and the next cursor, None at the end; the cursor's column is left out unless asked for."""
+    got = [r.asDict() for r in page_after(df.select(*dict.fromkeys([*(fields or df.columns), cursor])), cursor, after, limit, ascending).collect()]
+    following = got[-1][cursor] if len(got) == limit else None
+    return [{k: v for k, v in r.items() if not fields or k in fields} for r in got], following
+
+
 class Rows:
     """A whole table in key order, bounded by the largest key at the first read.
 
@@ -108,15 +130,21 @@ class Selection:
         return got
 
 
-def numbered(df: DataFrame, order: str, name: str = "n", block: int = 1 << 16) -> DataFrame:
-    """Rows numbered from 0 in the order of a unique integer key, without one task that sees them all.
+def numbered(df: DataFrame, order: str, name: str = "n", parts: int = 0) -> DataFrame:
+    """Rows numbered from 0 in the order of a unique key, without one task that sees them all.
 
-    Numbers run within blocks of key values; block offsets come from their counts.
+    Range partitions of like sizes, whatever the keys' gaps; one row a partition is
+    counted and summed, and numbers within a partition follow on the ones before.
     """
-    rows_ = df.withColumn("__b", F.floor(F.col(order) / block))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts).alias("b")).first()["b"] if parts > 1 else []
+    at = F.lit(0)
+    for b in sorted(set(bounds or [])):
+        at = at + (F.col(order) > F.lit(b)).cast("int")
+    rows_ = df.withColumn("__b", at)
     sizes = rows_.groupBy("__b").count()
     offsets = sizes.select("__b", F.coalesce(F.sum("count").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    rows_ = rows_.withColumn("__k", F.row_number().over(W.partitionBy("__b").orderBy(order)) - 1).join(offsets, "__b")
+    rows_ = rows_.withColumn("__k", F.row_number().over(W.partitionBy("__b").orderBy(order)) - 1).join(F.broadcast(offsets), "__b")  # at most ``parts`` rows
     return rows_.withColumn(name, F.col("__o") + F.col("__k")).drop("__b", "__k", "__o")
 
 
@@ -144,10 +172,10 @@ def files(spark: SparkSession, path: str, fmt: str = "text", content: bool = Tru
 
 
 def where_python(df: DataFrame, predicate: Callable[[dict], bool]) -> DataFrame:
-    """An opaque predicate; batches of rows, not one call each from the JVM."""
+    """An opaque predicate over rows as dicts; nulls are None and longs stay exact."""
 
-    def keep(parts):
-        for pdf in parts:
-            yield pdf[[bool(predicate(r)) for r in pdf.to_dict("records")]]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(predicate(r)) for r in batch.to_pylist()], pa.bool_()))
 
-    return df.mapInPandas(keep, df.schema)
+    return df.mapInArrow(keep, df.schema)
