@@ -44,7 +44,7 @@ def page_after(df: DataFrame, key: str, after: Any, limit: int, ascending: bool
 
 
 def pages(df: DataFrame, key: str = "id", page_size: int = 500) -> Iterator[list[dict]]:
-    """Keyset pages; of a key that comes twice a page holds all rows or none, so nothing is lost at its edge.
+    """Keyset pages; a key that comes twice at a page's edge, where rows would be lost, is an error.
 
     Without the key among the columns, rows come as a plain stream, cut to pages.
     """
@@ -59,11 +59,11 @@ def pages(df: DataFrame, key: str = "id", page_size: int = 500) -> Iterator[list
             yield page
         return
     after = None
-    while got := page_after(df, key, after, page_size).collect():
-        last = got[-1][key]
-        if len(got) == page_size:  # the rest of the last key's rows
-            got = [r for r in got if r[key] != last] + df.where(F.col(key) == F.lit(last)).collect()
-        after = last
+    while got := page_after(df, key, after, page_size + 1).collect():
+        if len(got) > page_size and got[-1][key] == got[-2][key]:
+            raise ValueError(f"{key} isn't unique")
+        got = got[:page_size]
+        after = got[-1][key]
         yield [r.asDict() for r in got]
 
 
