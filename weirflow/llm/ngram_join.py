@@ -19,7 +19,8 @@ outside of their list's largest component with some of its members, the last one
 with all members of other components.  Any other pair of a list is in one
 component by then, so no link between components is missed and no group of
 copies is expanded into all its pairs.  Candidates pass a bound from parity
-bitmaps (never too strict), then exact sets decide.
+bitmaps (never too strict), those of long texts a second one from bitmaps that grow
+with the set, then exact sets decide.
 
 Defined results: null, empty and blank texts have an empty set and are their own
 component; fewer words than five are one shingle; repeated rows share a class; a
@@ -174,6 +175,21 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """The like over at least two cells a shingle, a power of two; none where ``bitmap`` has as many."""
+    if 2 * len(s) <= BITMAP:
+        return None
+    cells = 1 << (2 * len(s) - 1).bit_length()
+    return np.packbits((np.bincount(((s >> np.uint64(17)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_may_link(a: bytes, b: bytes, sizes: int, percent: int = PERCENT) -> bool:
+    """False only for sets that can't link; ``sizes`` is the sum of theirs.  The larger bitmap is folded to the smaller's cells."""
+    x, y = sorted((np.frombuffer(v, np.uint8) for v in (a, b)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)))
+    return (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * sizes
+
+
 # -- fixed-size summaries of all rows -------------------------------------------
 
 
@@ -239,11 +255,11 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 
 # -- join -----------------------------------------------------------------------
 
-_ROWS = "doc_id long, text_hash long, n long, class long, bits array<long>, keys array<long>"
+_ROWS = "doc_id long, text_hash long, n long, class long, bits array<long>, wide binary, keys array<long>"
 
 
 def class_rows(docs: DataFrame, sketch: np.ndarray, x: int) -> DataFrame:
-    """Each row's set size, class, bitmap and keys, in place of its text."""
+    """Each row's set size, class, bitmaps and keys, in place of its text."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH counters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +273,10 @@ def class_rows(docs: DataFrame, sketch: np.ndarray, x: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([class_of(s) for s in own], pa.int64()),
-                        pa.array([bitmap(s) for s in own], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys), pa.int64())),
+                        pa.array([bitmap(s) for s in own], pa.list_(pa.int64())), pa.array([wide_bitmap(s) for s in own], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys), pa.int64())),
                     ],
-                    ["doc_id", "text_hash", "n", "class", "bits", "keys"],
+                    ["doc_id", "text_hash", "n", "class", "bits", "wide", "keys"],
                 )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _ROWS)
@@ -303,12 +320,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (``a`` < ``b``) that link: sizes, then bitmaps, then the sets of those left decide."""
+    """The pairs (``a`` < ``b``) that link: sizes, then bitmaps, wide ones too, then the sets of those left decide."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     left, right = (info.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
     close = cut(one.join(left, "a").join(right, "b").where(may_link("na", "nb", "bitsa", "bitsb")).select("a", "b"))
-    wanted = close.select(F.col("a").alias("class")).union(close.select("b")).distinct()
-    sets = cut(shingle_sets(docs, info.join(wanted, "class")))
+    close = cut(wide_close(close, cut(info.join(named_by(close), "class").select("class", "n", "wide"))))
+    sets = cut(shingle_sets(docs, info.join(named_by(close), "class")))
     full = close.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,6 +340,24 @@ def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct())
 
 
+def named_by(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+
+def wide_close(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs that may link by their wide bitmaps, or of which a class has none."""
+    left, right = (info.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"wide{c}")) for c in "ab")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("widea", "wideb", "sizes"))
+            keep = [x is None or y is None or wide_may_link(x, y, n) for x, y, n in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"})
+
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "widea", "wideb", (F.col("na") + F.col("nb")).alias("sizes"))
+    return full.mapInArrow(near, "a long, b long")
+
+
 def may_link(na: str, nb: str, bits_a: str, bits_b: str) -> Column:
     """False only for pairs that can't link, by their sizes or by the cells in which their bitmaps differ."""
     apart = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(BITMAP // 64)), F.lit(0))
@@ -372,7 +407,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(class_rows(docs, sketch, boundary(histogram)))
     members = list_members(rows)
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    info = cut(rows.select("class", "n", "bits", "doc_id", "text_hash").join(members.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), one))
+    info = rows.select("class", "n", "bits", "wide", "doc_id", "text_hash").join(members.select("class").distinct(), "class")
+    info = cut(info.groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"), one))
     pairs, left = stars(members)
     found = verified(pairs, info, docs)
     if not left.isEmpty():
