@@ -151,31 +151,40 @@ class Model:
         return out
 
 
-def learn(rows: list[tuple[str, str]]) -> Model:
-    """From (text, language) pairs."""
-    languages = sorted({lang for _, lang in rows})
+def tally(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each n-gram's bucket, and how often each script, occurs in some texts."""
+    counts, scripts = np.zeros(BUCKETS), np.zeros(len(SCRIPT_NAMES))
+    for a, b in chunks([len(t) for t in texts]):
+        words = Words(texts[a:b])
+        grams = Grams(words.distinct)
+        seen = np.bincount(words.at, minlength=len(words.distinct))[grams.rows]
+        for bucket, word in grams.groups:
+            counts += np.bincount(bucket, weights=seen[word], minlength=BUCKETS)
+        scripts += np.bincount(grams.script, weights=seen, minlength=len(SCRIPT_NAMES))
+    return counts, scripts
+
+
+def model_of(found: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> Model:
+    """From each language's number of texts and their tally."""
+    languages = sorted(found)
     table = np.empty((BUCKETS, len(languages)), np.float32)
     scripts = np.zeros((len(SCRIPT_NAMES), len(languages)))
     prior = np.zeros(len(languages))
-    texts_of: dict[str, list[str]] = {lang: [] for lang in languages}
-    for t, lang in rows:
-        texts_of[lang].append(t)
     for k, lang in enumerate(languages):
-        texts = texts_of[lang]
-        prior[k] = len(texts)
-        counts = np.zeros(BUCKETS)
-        for a, b in chunks([len(t) for t in texts]):
-            words = Words(texts[a:b])
-            grams = Grams(words.distinct)
-            seen = np.bincount(words.at, minlength=len(words.distinct))[grams.rows]
-            for bucket, word in grams.groups:
-                counts += np.bincount(bucket, weights=seen[word], minlength=BUCKETS)
-            scripts[:, k] += np.bincount(grams.script, weights=seen, minlength=len(SCRIPT_NAMES))
+        prior[k], counts, scripts[:, k] = found[lang]
         table[:, k] = np.log((counts + 0.1) / (counts.sum() + 0.1 * BUCKETS))
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     return Model(languages, table, np.where(share >= SCRIPT_SHARE, 0.0, -np.inf).astype(np.float32), np.log(np.maximum(prior, 1) / max(prior.sum(), 1)).astype(np.float32))
 
 
+def learn(rows: list[tuple[str, str]]) -> Model:
+    """From (text, language) pairs."""
+    texts_of: dict[str, list[str]] = {}
+    for t, lang in rows:
+        texts_of.setdefault(lang, []).append(t)
+    return model_of({lang: (len(texts), *tally(texts)) for lang, texts in texts_of.items()})
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns every language from at most ``sample`` different texts of it.
 
