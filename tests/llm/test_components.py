@@ -1,5 +1,6 @@
 import random
 
+from weirflow.llm import common
 from weirflow.llm.components import components
 
 
@@ -24,3 +25,12 @@ def test_few_edges_take_no_rounds_and_many_give_the_same(spark, tmp_path, monkey
     assert len(list(tmp_path.glob("weirflow-*"))) == 2
     monkeypatch.setattr("weirflow.llm.components.DRIVER_EDGES", 10)
     assert sorted(map(tuple, components(df).collect())) == want
+
+
+def test_the_driver_collects_its_garbage_every_few_tables(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr("weirflow.llm.common.shared_folder", lambda s: str(tmp_path))
+    monkeypatch.setattr("weirflow.llm.common.collected", lambda s: calls.append(s))
+    for _ in range(2 * common.TABLES_A_COLLECTION):
+        common.cut(spark.range(1))
+    assert len(calls) == 2

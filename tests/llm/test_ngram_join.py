@@ -33,3 +33,12 @@ def test_small_sets_have_no_wide_bitmap():
     assert op.wide_bitmap(np.empty(0, np.uint64)) is None
     assert op.wide_bitmap(np.arange(op.BITMAP // 2, dtype=np.uint64)) is None
     assert len(op.wide_bitmap(np.arange(op.BITMAP // 2 + 1, dtype=np.uint64))) * 8 == 2 * op.BITMAP
+
+
+def test_no_rounds_when_no_list_is_parted(spark, monkeypatch):
+    calls, verified = [], op.verified
+    monkeypatch.setattr(op, "verified", lambda *a: (calls.append(1), verified(*a))[1])
+    words = [f"w{k}" for k in range(80)]
+    docs = spark.createDataFrame([(k, " ".join([*words, *"abcdefgh"[:k]])) for k in range(8)], "doc_id long, text string")
+    assert {r["component_id"] for r in op.join(docs).collect()} == {0}
+    assert len(calls) == 1

@@ -411,11 +411,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = cut(info.groupBy("class").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"), one))
     pairs, left = stars(members)
     found = verified(pairs, info, docs)
-    if not left.isEmpty():
-        for turn in range(TURNS):
-            found = cut(found.union(verified(to_some(parted(left, components(found)), turn), info, docs)))
-        found = cut(found.union(verified(across(parted(left, components(found)), info), info, docs)))
-    return rows, components(found)
+    labels = components(found)
+    for turn in range(TURNS + 1):
+        apart = cut(parted(left, labels))
+        if apart.isEmpty():
+            break
+        found = cut(found.union(verified(to_some(apart, turn) if turn < TURNS else across(apart, info), info, docs)))
+        labels = components(found)
+    return rows, labels
 
 
 def join(docs: DataFrame) -> DataFrame:
